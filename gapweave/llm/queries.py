@@ -11,7 +11,9 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
+from .near_dedup import near_dedup
 from .packing import pack
+from .substring_dedup import substring_dedup
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), capacity=2048, end_id=0)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir), percent=85, width=5)
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(documents(spark, sf_dir), end_id=1))
 
@@ -31,13 +37,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir), window=50).drop("kept_text")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(documents(spark, sf_dir))
     return out.select("doc_id", "source", "replica", F.round("rate", 6).alias("rate"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_best_fit_packing, op5_token_binary, op7_line_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_token_binary, op7_line_dedup, op9_substring_dedup, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
