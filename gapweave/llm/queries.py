@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .binary_tokens import read_tokens, write_tokens
 from .common import documents
 from .exact_dedup import exact_dedup
+from .language_id import fit, held_out, predict
 from .line_dedup import line_dedup
 from .mixing import mix
 from .near_dedup import near_dedup
@@ -37,6 +38,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = predict(docs.select("doc_id", "text"), fit(docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), window=50).drop("kept_text")
 
@@ -47,7 +54,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_token_binary, op7_line_dedup, op9_substring_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_token_binary, op7_line_dedup, op8_language_id, op9_substring_dedup, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
