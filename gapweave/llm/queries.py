@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .binary_tokens import read_tokens, write_tokens
 from .common import documents
 from .exact_dedup import exact_dedup
+from .fingerprints import fingerprints
 from .language_id import fit, held_out, predict
 from .line_dedup import line_dedup
 from .mixing import mix
@@ -21,6 +22,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), capacity=2048, end_id=0)
 
@@ -54,7 +59,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_best_fit_packing, op4_minhash_near_dedup, op5_token_binary, op7_line_dedup, op8_language_id, op9_substring_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_fingerprints, op3_best_fit_packing, op4_minhash_near_dedup, op5_token_binary, op7_line_dedup, op8_language_id, op9_substring_dedup, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
