@@ -15,6 +15,7 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack
+from .pii import personal_data
 from .substring_dedup import substring_dedup
 
 
@@ -38,6 +39,10 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(documents(spark, sf_dir), end_id=1))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -59,7 +64,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_fingerprints, op3_best_fit_packing, op4_minhash_near_dedup, op5_token_binary, op7_line_dedup, op8_language_id, op9_substring_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_fingerprints, op3_best_fit_packing, op4_minhash_near_dedup, op5_token_binary, op6_personal_data, op7_line_dedup, op8_language_id, op9_substring_dedup, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
