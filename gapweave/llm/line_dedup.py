@@ -91,7 +91,8 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN
     """
     docs = docs.drop("n_lines", "n_removed", "longest_run")
     runs = materialise(repeated_runs(docs, min_lines, min_chars), "runs").withColumnRenamed("doc_id", "run_doc")
-    joined = docs.join(runs, F.col("doc_id").cast("long") == F.col("run_doc"), "left")
+    # runs grow with the documents: the join is by shuffle at every size
+    joined = docs.join(runs.hint("merge"), F.col("doc_id").cast("long") == F.col("run_doc"), "left")
     lines = F.split(F.col("text"), "\n")
     within = lambda i: F.exists("runs", lambda r: (r["begin"] <= i) & (i < r["end"]))
     kept = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~within(i)), "\n"))
