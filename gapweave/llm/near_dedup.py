@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import tokens
-from .common import materialise
+from .common import materialise, shuffle_partitions
 from .components import relabel
 from .shingles import constants, finish, shingle_sets
 
@@ -112,25 +112,26 @@ def open_pairs(buckets: DataFrame, percent: int, best: int | None) -> DataFrame:
     equal = int(np.floor(PERMUTATIONS * (least * (1 - 1 / 256) + 1 / 256)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable")
+        pdf = pdf.sort_values(["n", "node"], kind="stable")
         node, n, label = (pdf[c].to_numpy() for c in ("node", "n", "label"))
-        signature = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
-        mine = np.flatnonzero(pdf["mine"].to_numpy())
-        step, out = max(1, (24 << 20) // max(1, signature.size)), []
-        for at in range(0, len(mine), step):
-            rows = mine[at : at + step]
-            same = (signature[rows][:, None, :] == signature[None, :, :]).sum(axis=2, dtype=np.int32)
-            fits = 100 * np.minimum(n[rows][:, None], n) >= percent * np.maximum(n[rows][:, None], n)
-            good = (same >= equal) & fits & (label[rows][:, None] != label)
-            for r in np.flatnonzero(good.any(axis=1)):
-                others = np.flatnonzero(good[r])
-                others = others[np.lexsort((others, -same[r, others]))]
-                rank = pd.Series(label[others]).groupby(label[others]).cumcount().to_numpy()
-                cut = best is not None and bool((rank >= best).any())
-                for o in others if best is None else others[rank < best]:
-                    out.append((min(node[rows[r]], node[o]), max(node[rows[r]], node[o]), cut))
+        by_byte = np.ascontiguousarray(np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1).T)
+        names, sizes = np.unique(label, return_counts=True)
+        # every pair of two components has a member outside the largest one
+        mine, out = np.flatnonzero(pdf["mine"].to_numpy() & (label != names[sizes.argmax()])), []
+        low, high = np.searchsorted(100 * n, percent * n[mine]), np.searchsorted(percent * n, 100 * n[mine], "right")
+        for r, a, b in zip(mine.tolist(), low.tolist(), high.tolist()):
+            same = (by_byte[:, a:b] == by_byte[:, r : r + 1]).view(np.uint8).sum(axis=0, dtype=np.uint8)
+            others = np.flatnonzero((same >= equal) & (label[a:b] != label[r]))
+            if not len(others):
+                continue
+            others = others[np.argsort(-same[others].astype(np.int16), kind="stable")]
+            rank = pd.Series(label[a + others]).groupby(label[a + others]).cumcount().to_numpy()
+            cut = best is not None and bool((rank >= best).any())
+            for o in node[a + (others if best is None else others[rank < best])].tolist():
+                out.append((min(int(node[r]), o), max(int(node[r]), o), cut))
         return pd.DataFrame(out, columns=["a", "b", "cut"]).astype({"a": "int64", "b": "int64", "cut": "bool"})
 
+    buckets = buckets.repartition(2 * shuffle_partitions(buckets.sparkSession), "key", "block")
     found = buckets.groupBy("key", "block").applyInPandas(run, "a long, b long, cut boolean")
     return found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
