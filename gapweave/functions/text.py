@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 SLUG_LENGTH, LABEL_LENGTH, SHORT_LABEL = 50, 60, 30
 #: Unicode white space as one pattern.
@@ -41,7 +42,7 @@ def line_estimate(raw: Column) -> Column:
     return F.coalesce(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("int")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -200,7 +201,7 @@ def char_trigrams(text: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma-separated values, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def auto_max_lines(total: Column) -> Column:

@@ -24,7 +24,7 @@ def _with_k(sizes: DataFrame, ref: DataFrame, k: int) -> DataFrame:
 
 def segment_map(sizes: DataFrame, cuts: DataFrame, name: str) -> DataFrame:
     """doc_id, i, seg: boundaries before block i."""
-    blocks = sizes.where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).cast("int").alias("i"))
+    blocks = sizes.where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i"))
     marks = cuts.select("doc_id", F.col("gap_idx").cast("int").alias("i"), F.lit(1).alias("cut")).distinct()
     before = doc_order("i").rowsBetween(Window.unboundedPreceding, -1)
     return blocks.join(marks, ["doc_id", "i"], "left").select("doc_id", "i", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias(name))

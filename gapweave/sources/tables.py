@@ -22,12 +22,22 @@ def _sources(rows: DataFrame, name: str) -> DataFrame:
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A level-1 heading for each conversation, a level-2 heading for each turn, a paragraph for each line."""
-    part = F.concat(F.lit("## "), F.col("turn").cast("string"), F.lit(" "), F.col("role"), F.lit("\n\n"), paragraphs(F.col("text")))
+    return _conversations(spark, sf_dir, F.lit(""))
+
+
+def _conversations(spark: SparkSession, sf_dir: str, tail: F.Column) -> DataFrame:
+    part = F.concat(F.lit("## "), F.col("turn").cast("string"), F.lit(" "), F.col("role"), F.lit("\n\n"), paragraphs(F.col("text")), tail)
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", part.alias("part"))
     body = turns.groupBy("doc_id").agg(ordered_text("part", "turn").alias("body"))
     return _sources(body.select("doc_id", F.concat(F.lit("# Conversation "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.col("body")).alias("markdown")), "conversation")
 
 
+def linked_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose turns each end with a link to the top and one to the next turn, were it the user's."""
+    links = F.concat(F.lit("See [top](#conversation-"), F.col("conv_id").cast("string"), F.lit(") and [next](#"), (F.col("turn") + 1).cast("string"), F.lit("-user).\n\n"))
+    return _conversations(spark, sf_dir, links)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source as a level-1 heading, the document as a level-2 heading, a paragraph for each line."""
     head = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n## doc "), F.col("doc_id").cast("string"), F.lit("\n\n"))
