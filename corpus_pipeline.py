@@ -45,8 +45,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest doc_id."""
     ship(spark)
-    gone = materialise(near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "near-copies")
-    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    gone = materialise(near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct(), "near-copies")
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

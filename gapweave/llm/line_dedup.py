@@ -90,16 +90,16 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN
     empty.
     """
     docs = docs.drop("n_lines", "n_removed", "longest_run")
-    runs = materialise(repeated_runs(docs, min_lines, min_chars), "runs").withColumnRenamed("doc_id", "run_doc")
+    runs = materialise(repeated_runs(docs.select("doc_id", "text"), min_lines, min_chars), "runs").withColumnsRenamed({"doc_id": "_run_doc", "runs": "_runs", "longest": "_longest"})
     # runs grow with the documents: the join is by shuffle at every size
-    joined = docs.join(runs.hint("merge"), F.col("doc_id").cast("long") == F.col("run_doc"), "left")
+    joined = docs.join(runs.hint("merge"), F.col("doc_id").cast("long") == F.col("_run_doc"), "left")
     lines = F.split(F.col("text"), "\n")
-    within = lambda i: F.exists("runs", lambda r: (r["begin"] <= i) & (i < r["end"]))
-    kept = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~within(i)), "\n"))
-    removed = F.aggregate("runs", F.lit(0), lambda a, r: a + r["end"] - r["begin"])
+    within = lambda i: F.exists("_runs", lambda r: (r["begin"] <= i) & (i < r["end"]))
+    kept = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~within(i)), "\n"))
+    removed = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["end"] - r["begin"])
     return joined.select(
         *[kept.alias(c) if c == "text" else F.col(c) for c in docs.columns],
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("longest", F.lit(0)).cast("long").alias("longest_run"),
+        F.coalesce("_longest", F.lit(0)).cast("long").alias("longest_run"),
     )

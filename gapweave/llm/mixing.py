@@ -69,10 +69,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, scale: float =
     if len(found) <= MAX_SOURCES:
         if any(r.rate > 500 for r in found):
             raise ValueError(f"a mean repetition over 500 asks for other data: {[r.source for r in found if r.rate > 500][:5]}")
-        small = spark.createDataFrame([(r.source, r.rate) for r in found], "mix_source string, rate double")
-        rows = docs.join(F.broadcast(small), source == F.col("mix_source"), "left").drop("mix_source")
+        small = spark.createDataFrame([(r.source, r.rate) for r in found], "_mix_source string, rate double")
+        rows = docs.join(F.broadcast(small), source == F.col("_mix_source"), "left").drop("_mix_source")
     else:
-        rows = docs.join(table.withColumnRenamed("source", "mix_source"), source == F.col("mix_source"), "left").drop("mix_source")
+        rows = docs.join(table.withColumnRenamed("source", "_mix_source"), source == F.col("_mix_source"), "left").drop("_mix_source")
     count = poisson_count(uniform(seed, "doc_id"), F.col("rate"))
     copies = rows.withColumn("replica", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))))
     keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "replica"))

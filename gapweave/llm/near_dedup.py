@@ -144,6 +144,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     a doc_id count as one document that has each of their texts. An empty table gives no rows; other columns are
     ignored.
     """
+    docs = docs.select("doc_id", "text")
     table = materialise(features(docs, width), "features")
     key = ["s1", "s2", "n"]
     classes = table.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
