@@ -73,6 +73,28 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                    doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
             FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+        "op4_minhash_near_dedup": r"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+            sh AS (
+                SELECT DISTINCT doc_id, md5(array_to_string(ws[p:p + 4], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM w WHERE len(ws) > 0)),
+            n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+            both_in AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+            links AS (SELECT x, y FROM both_in JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+            ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+            reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, ways.y FROM reach r JOIN ways ON ways.x = r.b)
+            SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id, a = min(b) AS kept
+            FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a""",
+        "op9_substring_dedup": r"""
+            WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+            win AS (SELECT doc_id, p, array_to_string(ws[p:p + 49], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w)),
+            early AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS f FROM win) WHERE f < doc_id),
+            gone AS (SELECT DISTINCT doc_id, p + k AS i FROM (SELECT doc_id, p, unnest(range(50)) AS k FROM early)),
+            words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+            kept AS (
+                SELECT doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone.i IS NULL) AS t
+                FROM words LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+            SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
         "op7_line_dedup": r"""
             WITH l AS (
                 SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS line
