@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import blocks as B, gaps as G, quality as Q, render as R, segments as S
@@ -41,7 +42,10 @@ class Config:
 
 @dataclass
 class Result:
-    """Tables of a run; ``gaps`` and ``quality`` only where an embedder was given."""
+    """Tables of a run; ``gaps`` and ``quality`` only where an embedder was given.
+
+    Blocks, vectors and the segmentation are kept on first use, as several tables read them; ``release`` lets them go.
+    """
 
     blocks: DataFrame
     assigned: DataFrame
@@ -50,6 +54,11 @@ class Result:
     segments: DataFrame
     gaps: DataFrame | None = None
     quality: DataFrame | None = None
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        for table in self.kept:
+            table.unpersist()
 
 
 def _hooked(hook: Hook | None, table: DataFrame) -> DataFrame:
@@ -64,15 +73,21 @@ def run(sources: DataFrame, config: Config | None = None) -> Result:
     detector and 1 for any other detector's boundaries; coherence is null without vectors.
     """
     config = config or Config()
-    blocks = _hooked(config.hooks.on_parse, B.blocks_of(sources))
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table.persist(StorageLevel.MEMORY_AND_DISK))
+        return kept[-1]
+
+    blocks = keep(_hooked(config.hooks.on_parse, B.blocks_of(sources)))
     gaps = scored = vectors = None
     if config.embedder is not None:
-        vectors = _hooked(config.hooks.on_embed, config.embedder(blocks))
+        vectors = keep(_hooked(config.hooks.on_embed, config.embedder(blocks)))
         gaps = G.similarities(vectors)
         detector = config.detector if isinstance(config.detector, DepthThreshold) else DepthThreshold()
         scored = G.with_confidence(detector.scored(gaps))
     raw = _hooked(config.hooks.on_boundary, validate(config.detector.detect(blocks, gaps), blocks))
-    assigned = S.optimize(blocks, raw, config.optimize, scored)
+    assigned = keep(S.optimize(blocks, raw, config.optimize, scored))
     final = final_boundaries(assigned)
     segments = R.with_filenames(S.with_ids(S.roll_up(assigned), sources), assigned, config.prefix)
     before = final.select("doc_id", (F.row_number().over(B.doc_order("gap_idx"))).alias("seg_idx"), "gap_idx")
@@ -88,4 +103,4 @@ def run(sources: DataFrame, config: Config | None = None) -> Result:
         quality = Q.document_metrics(near, sure)
     segments = _hooked(config.hooks.on_segment, segments)
     rendered = R.render(segments, assigned, sources, config.context_style, config.context_depth, config.context_exclude, config.overlap)
-    return Result(blocks, assigned, raw, final, _hooked(config.hooks.on_render, rendered), scored, quality)
+    return Result(blocks, assigned, raw, final, _hooked(config.hooks.on_render, rendered), scored, quality, kept)

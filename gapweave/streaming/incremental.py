@@ -56,10 +56,12 @@ def update(spark: SparkSession, sources: DataFrame, state_path: str, config: Con
     state = load_state(spark, state_path).cache()
     changed = changed_sources(sources, state).cache()
     names = changed.select("source_name").distinct()
-    fresh = build_state(run(changed, config).segments, changed).cache()
+    result = run(changed, config)
+    fresh = build_state(result.segments, changed).cache()
     changes = diff(state.join(names, "source_name", "left_semi"), fresh).cache()
     changes.count()
     save_state(state.join(names, "source_name", "left_anti").unionByName(fresh), state_path)
+    result.release()
     return changes
 
 
