@@ -6,9 +6,10 @@ document that share an edge are a path through it, with the words that lead to i
 its first and last window, which overlap and so fix all its words.
 
 Joins compact the graph: an edge of one document alone leaves; an edge whose paths all read alike does not branch, and
-every document but the path's first loses it whole, by its coordinates. Where paths branch, only each distinct path's
-first copy is spelled out in windows, and a window whose words stand in a path of an earlier document goes too. Copies
-are never expanded into pairs, and a passage in any number of documents is a few rows once it is pre-aggregated.
+every document but the path's first loses it whole, by its coordinates. Where paths branch, each distinct path is spelled
+out in windows, at every place that its first document has it, and a window whose words stand in a path of an earlier
+document goes too. Copies are never expanded into pairs, and a passage in any number of documents is a few rows once it
+is pre-aggregated.
 """
 
 from __future__ import annotations
@@ -184,9 +185,11 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     classes = materialise(classes, "path-classes")
     edges = classes.groupBy("edge").agg((F.count(F.lit(1)) > 1).alias("branches"), F.min("first.doc_id").alias("low"), F.max("last").alias("high")).where("low < high")
     classes = materialise(classes.join(edges.select("edge", "branches"), "edge"), "repeated-classes")
-    settled = classes.where(F.col("first.doc_id") < F.col("last")).select("edge", "path", F.col("first.doc_id").alias("source"))
-    spans = own.join(settled, ["edge", "path"]).where(F.col("doc_id") > F.col("source")).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "windows")).alias("spans"))
-    branching = classes.where("branches").select("first.*").groupBy("doc_id").agg(F.collect_list(F.struct("begin", "windows")).alias("branching"))
+    # a branching path is spelled wherever its first document has it: any of these places may lose words to an earlier document
+    placed = own.join(classes.select("edge", "path", "branches", F.col("first.doc_id").alias("source")), ["edge", "path"])
+    place = F.struct("begin", "windows")
+    spans = placed.where(F.col("doc_id") > F.col("source")).groupBy("doc_id").agg(F.collect_list(place).alias("spans"))
+    branching = placed.where(F.col("branches") & (F.col("doc_id") == F.col("source"))).groupBy("doc_id").agg(F.collect_list(place).alias("branching"))
     touched = materialise(spans.join(branching, "doc_id", "full_outer"), "touched")
     texts = materialise(texts.join(touched, "doc_id"), "touched-texts")
 
