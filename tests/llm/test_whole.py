@@ -2,10 +2,12 @@
 
 import random
 
+import corpus_pipeline
 from gapweave.llm import substring_dedup
 
 from .helpers import as_table
 from .test_edges import brute_words
+from .test_near import brute
 
 
 def test_substring_dedup_of_a_document_that_repeats_its_sections(spark):
@@ -16,3 +18,17 @@ def test_substring_dedup_of_a_document_that_repeats_its_sections(spark):
     rows = [(i, " ".join(w)) for i, w in rows]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(as_table(spark, rows)).collect()}
     assert got[2][1] == 120 and got == brute_words(rows, 50)
+
+
+def test_pipeline_links_near_copies_from_80_percent(spark):
+    rng = random.Random(80)
+    rows = []
+    for k in range(60):
+        base = [f"u{rng.randrange(10**9)}" for _ in range(300)]
+        edited = list(base)
+        for at in rng.sample(range(10, 290, 10), 4 + k % 5):  # five shingles each: likeness 0.76 to 0.87
+            edited[at] = f"e{rng.randrange(10**9)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited))]
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, as_table(spark, rows), "").collect()}
+    want = {i for i, (_, _, keep) in brute(rows, 80).items() if keep}
+    assert want != {i for i, (_, _, keep) in brute(rows, 85).items() if keep} and kept == want
