@@ -35,9 +35,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; documents left without text go with them. n_chars follows the text."""
+    """Later copies of repeated line runs, also across blank lines, go; documents left without text go with them. n_chars follows the text."""
     ship(spark)
-    found = line_dedup(docs).where((F.col("n_removed") == 0) | ~F.col("text").rlike(r"^\s*$"))
+    found = line_dedup(docs, across_blank=True).where((F.col("n_removed") == 0) | ~F.col("text").rlike(r"^\s*$"))
     if "n_chars" in docs.columns:
         length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
         found = found.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))

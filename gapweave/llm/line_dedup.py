@@ -13,7 +13,7 @@ stretch of a longer repeated run has the same earlier copy.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import clean_text, materialise
 
@@ -21,12 +21,19 @@ MIN_LINES = 2
 MIN_CHARS = 40
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), chars, h1, h2 of every line that is not blank; 128 bits stand for a line."""
-    split = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.split(clean_text(), "\n").alias("lines"))
+def blank(line: Column) -> Column:
+    return line.rlike(r"^\s*$")
+
+
+def lines_of(docs: DataFrame, across_blank: bool = False) -> DataFrame:
+    """doc_id, line (from 0), chars, h1, h2 of every line that is not blank; 128 bits stand for a line.
+
+    With ``across_blank`` lines are numbered without the blank ones, so that those around a blank line follow each other.
+    """
+    lines = F.split(clean_text(), "\n")
+    split = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.filter(lines, lambda x: ~blank(x)) if across_blank else lines).alias("lines"))
     rows = split.select("doc_id", F.posexplode("lines").alias("line", "body"))
-    blank = F.col("body").rlike(r"^\s*$")
-    return rows.where(~blank).select("doc_id", "line", F.char_length("body").alias("chars"), F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"))
+    return rows.where(~blank(F.col("body"))).select("doc_id", "line", F.char_length("body").alias("chars"), F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"))
 
 
 def first_ranks(lines: DataFrame) -> DataFrame:
@@ -44,7 +51,7 @@ def first_ranks(lines: DataFrame) -> DataFrame:
 def double(active: DataFrame, step: int, label: str) -> DataFrame:
     """Suffixes still sharing their rank after comparing twice as many lines, ``later`` told anew.
 
-    A blank line, a line found nowhere else, or the document's end on the way ends what a suffix can share: it has
+    A blank line (unless lines are numbered without them), a line found nowhere else, or the document's end on the way ends what a suffix can share: it has
     no rank ``step`` lines on and leaves.
     """
     ahead = Window.partitionBy("doc_id").orderBy("line").rangeBetween(step, step)
@@ -56,9 +63,9 @@ def double(active: DataFrame, step: int, label: str) -> DataFrame:
     return materialise(found, label)
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, across_blank: bool = False) -> DataFrame:
     """doc_id, runs (array of begin and end line, end exclusive) to delete, longest (lines known to repeat in a row)."""
-    active = materialise(first_ranks(lines_of(docs)), "ranks-1")
+    active = materialise(first_ranks(lines_of(docs, across_blank)), "ranks-1")
     depth = 1
     found = active.where(F.col("later") & (F.col("chars") >= min_chars)).select("doc_id", "line", F.lit(1).alias("length"), F.lit(1).alias("depth"))
     if min_lines <= 1:
@@ -75,25 +82,36 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
     order = Window.partitionBy("doc_id").orderBy("line")
     spans = found.groupBy("doc_id", "line").agg(F.max("length").alias("length"), F.max("depth").alias("depth")).withColumn("end", F.col("line") + F.col("length"))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("new", F.coalesce((F.col("line") > reach).cast("int"), F.lit(1)))
+    # across blank lines, those between two runs that only touch belong to neither
+    apart = F.col("line") >= reach if across_blank else F.col("line") > reach
+    spans = spans.withColumn("new", F.coalesce(apart.cast("int"), F.lit(1)))
     spans = spans.withColumn("run", F.sum("new").over(order))
     merged = spans.groupBy("doc_id", "run").agg(F.min("line").alias("begin"), F.max("end").alias("end"), F.max("depth").alias("depth"))
     return merged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("runs"), F.max("depth").alias("longest"))
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, across_blank: bool = False) -> DataFrame:
     """All columns of ``docs`` with later copies of repeated runs deleted from text, and n_lines, n_removed, longest_run.
 
     Null text stays null and counts as no line. Rows without a doc_id keep their text. Rows that repeat a doc_id are
     read as one document written twice, line by line, and lose the same lines. Columns of ``docs`` named n_lines,
     n_removed or longest_run are replaced. An empty table gives no rows. The text of a document whose lines all go is
     empty.
+
+    Blank lines end a run. With ``across_blank`` they do not: they are no letters, so that runs are told by their other
+    lines alone, and blank lines between the first and the last line of a deleted run go with it.
     """
     docs = docs.drop("n_lines", "n_removed", "longest_run")
-    runs = materialise(repeated_runs(docs.select("doc_id", "text"), min_lines, min_chars), "runs").withColumnsRenamed({"doc_id": "_run_doc", "runs": "_runs", "longest": "_longest"})
+    runs = materialise(repeated_runs(docs.select("doc_id", "text"), min_lines, min_chars, across_blank), "runs").withColumnsRenamed({"doc_id": "_run_doc", "runs": "_runs", "longest": "_longest"})
     # runs grow with the documents: the join is by shuffle at every size
     joined = docs.join(runs.hint("merge"), F.col("doc_id").cast("long") == F.col("_run_doc"), "left")
     lines = F.split(F.col("text"), "\n")
+    if across_blank:
+        size = F.size(lines)
+        full = F.filter(F.transform(lines, lambda x, i: F.when(~blank(x), i)), lambda i: i.isNotNull())
+        begin, end = (lambda r: F.coalesce(F.get("_full", r["begin"]), size)), (lambda r: F.coalesce(F.get("_full", r["end"] - 1) + 1, size))
+        joined = joined.withColumn("_full", F.when(F.col("_runs").isNotNull(), full))
+        joined = joined.withColumn("_runs", F.transform("_runs", lambda r: F.struct(begin(r).alias("begin"), end(r).alias("end"))))
     within = lambda i: F.exists("_runs", lambda r: (r["begin"] <= i) & (i < r["end"]))
     kept = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~within(i)), "\n"))
     removed = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["end"] - r["begin"])

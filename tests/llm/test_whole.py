@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from gapweave.llm import substring_dedup
+from gapweave.llm import line_dedup, substring_dedup
 
 from .helpers import as_table
 from .test_edges import brute_words
@@ -32,3 +34,36 @@ def test_pipeline_links_near_copies_from_80_percent(spark):
     kept = {r.doc_id for r in corpus_pipeline.near(spark, as_table(spark, rows), "").collect()}
     want = {i for i, (_, _, keep) in brute(rows, 80).items() if keep}
     assert want != {i for i, (_, _, keep) in brute(rows, 85).items() if keep} and kept == want
+
+
+def brute_across(rows, least, chars):
+    lines = {i: t.split("\n") for i, t in rows}
+    full = {i: [k for k, x in enumerate(ls) if x.strip()] for i, ls in lines.items()}
+    letters = {i: [lines[i][k] for k in full[i]] for i in lines}
+    out = {}
+    for i in lines:
+        gone = set()
+        for m in (1, least):
+            for p in range(len(letters[i]) - m + 1):
+                window = letters[i][p : p + m]
+                if m == 1 < least and len(window[0]) < chars:
+                    continue
+                if any(letters[j][q : q + m] == window for j in letters for q in range(len(letters[j]) - m + 1) if (j, q) < (i, p)):
+                    gone |= set(range(full[i][p], full[i][p + m - 1] + 1))
+        out[i] = ("\n".join(x for k, x in enumerate(lines[i]) if k not in gone), len(gone))
+    return out
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_line_runs_across_blank_lines_match_brute_force(spark, least):
+    rng = random.Random(least)
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", " \t", "a long line", "d"]) for _ in range(rng.randrange(1, 14)))) for i in range(30)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(as_table(spark, rows), least, 5, across_blank=True).collect()}
+    assert got == brute_across(rows, least, 5)
+
+
+def test_pipeline_deletes_double_spaced_passages(spark):
+    verse = "\n\n".join(f"verse number {k}" for k in range(20))
+    rows = [(1, "own one\n" + verse), (2, "own two\n\n" + verse.replace("\n\n", "\n") + "\nend two"), (3, verse), (4, "own four\n" + verse + "\n\nend four")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, as_table(spark, rows), "").collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("own two\n\nend two", 16), 4: ("own four\n\nend four", 18)}
