@@ -15,6 +15,10 @@ from .common import shuffle_partitions
 
 #: Sources that the driver may hold; beyond that the rates are joined as a table.
 MAX_SOURCES = 10_000
+#: Rates up to which Poisson terms are added up from 0; exp(-rate) is a normal double.
+LOW_RATE = 500
+#: Copies of a document that are numbered at once.
+BLOCK = 10_000
 
 
 def uniform(seed: int, *columns: str) -> Column:
@@ -44,16 +48,22 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, scale: float
 def poisson_count(u: Column, rate: Column) -> Column:
     """The smallest k whose cumulative Poisson probability exceeds u, by adding up terms until it does.
 
-    Rates over 500 are taken as rounded normal deviates would be: in pieces of rate / n, whose counts add up; see
-    ``mix``, which splits them. The sum runs to k = 4 * rate + 40, beyond which no 52-bit u lies.
+    Up to a rate of ``LOW_RATE`` the sum runs from 0 to 4 * rate + 40. Above, where exp(-rate) nears the least double, it
+    runs over the 12 standard deviations on both sides of the rate, from a first term by Stirling's series. Beyond
+    either end no 52-bit u lies but 0. One u gives the whole count at every rate, as the SQL has it.
     """
+    high = rate > LOW_RATE
+    low = F.when(high, F.floor(rate - 12 * F.sqrt(rate))).otherwise(F.lit(0)).cast("int")
+    top = F.when(high, F.ceil(rate + 12 * F.sqrt(rate))).otherwise(F.lit(40) + 4 * F.ceil(rate)).cast("int")
+    n = F.greatest(low, F.lit(1)).cast("double")
+    stirling = n * F.log1p((rate - n) / n) - (rate - n) - F.log(2 * math.pi * n) / 2 - 1 / (12 * n) + 1 / (360 * n * n * n)
+    term = F.exp(F.when(high, stirling).otherwise(-rate))
     step = lambda a, k: F.struct(
         (a["term"] * rate / k).alias("term"),
         (a["sum"] + a["term"] * rate / k).alias("sum"),
         F.when(a["sum"] <= u, k).otherwise(a["count"]).alias("count"),
     )
-    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("sum"), F.lit(0).cast("int").alias("count"))
-    return F.aggregate(F.sequence(F.lit(1), (F.lit(40) + 4 * F.ceil(rate)).cast("int")), start, step, lambda a: a["count"])
+    return F.aggregate(F.sequence(low + 1, top), F.struct(term.alias("term"), term.alias("sum"), low.alias("count")), step, lambda a: a["count"])
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, scale: float = 1.0, seed: int = 7) -> DataFrame:
@@ -67,14 +77,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, scale: float =
     docs = docs.drop("replica", "rate", "mix_key")
     source = F.coalesce(F.col("source"), F.lit(""))
     if len(found) <= MAX_SOURCES:
-        if any(r.rate > 500 for r in found):
-            raise ValueError(f"a mean repetition over 500 asks for other data: {[r.source for r in found if r.rate > 500][:5]}")
         small = spark.createDataFrame([(r.source, r.rate) for r in found], "_mix_source string, rate double")
         rows = docs.join(F.broadcast(small), source == F.col("_mix_source"), "left").drop("_mix_source")
     else:
         rows = docs.join(table.withColumnRenamed("source", "_mix_source"), source == F.col("_mix_source"), "left").drop("_mix_source")
-    count = poisson_count(uniform(seed, "doc_id"), F.col("rate"))
-    copies = rows.withColumn("replica", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))))
+    rows = rows.withColumn("_mix_count", poisson_count(uniform(seed, "doc_id"), F.col("rate"))).where("_mix_count > 0")
+    # in blocks, so that no row holds all numbers of a document of very many copies
+    rows = rows.withColumn("_mix_from", F.explode(F.sequence(F.lit(0), F.col("_mix_count") - 1, F.lit(BLOCK))))
+    block = F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.col("_mix_count") - F.col("_mix_from")) - 1)
+    copies = rows.withColumn("replica", F.explode(block)).withColumn("replica", F.col("_mix_from") + F.col("replica")).drop("_mix_count", "_mix_from")
     keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "replica"))
     return keyed.repartition(shuffle_partitions(spark), "mix_key").sortWithinPartitions("mix_key")
 

@@ -1,11 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gapweave.llm import line_dedup, substring_dedup
+from gapweave.llm import line_dedup, mixing, substring_dedup
 
 from .helpers import as_table
 from .test_edges import brute_words
@@ -36,6 +38,32 @@ def test_pipeline_links_near_copies_from_80_percent(spark):
     assert want != {i for i, (_, _, keep) in brute(rows, 85).items() if keep} and kept == want
 
 
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_mixing_at_high_rates(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", most)
+    rows = [(i, "a", "en", "few") for i in range(40)] + [(100, "b" * 400_000, "en", "large")]
+    table = as_table(spark, rows)
+    for scale in (0.1, 0.16):  # rates of about 500 and 800
+        out = mixing.mix(table, scale=scale).where("source = 'few'")
+        rate = scale * 400_040 / 2 / 40
+        u = {r.doc_id: r.u for r in table.select("doc_id", mixing.uniform(7, "doc_id").alias("u")).collect()}
+        got = {r.doc_id: (r.n, r.low, r.high) for r in out.groupBy("doc_id").agg(F.countDistinct("replica").alias("n"), F.min("replica").alias("low"), F.max("replica").alias("high")).collect()}
+        want = {}
+        for i in range(40):
+            total, k = math.exp(-rate), 0
+            while total <= u[i]:
+                k += 1
+                total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            want[i] = (k, 0, k - 1)
+        assert got == want and out.count() == sum(n for n, _, _ in want.values())
+
+
+def test_mixing_numbers_copies_in_blocks(spark):
+    rows = [(1, "a", "en", "few"), (2, "b" * 60_000, "en", "large")]
+    got = [r.replica for r in mixing.mix(as_table(spark, rows)).where("source = 'few'").select("replica").collect()]
+    assert sorted(got) == list(range(len(got))) and abs(len(got) - 30_000) < 12 * 30_000**0.5
+
+
 def brute_across(rows, least, chars):
     lines = {i: t.split("\n") for i, t in rows}
     full = {i: [k for k, x in enumerate(ls) if x.strip()] for i, ls in lines.items()}
