@@ -31,7 +31,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at replicated files, not at executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialise`` wrote; what was made of them must be written by now."""
+    for df in tables:
+        if path := df.__dict__.pop("_written_to", None):
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,18 +60,22 @@ def shingle_sets(texts: pa.Array, width: int, lower: bool = True) -> tuple[np.nd
     """Sorted distinct shingle hashes of each text in a row, and offsets. A shorter text is one shingle, none has none."""
     words, offsets = word_hashes(texts, lower)
     factors = constants(41, width)
-    hashes, ends = window_hashes(words, offsets, width, factors)
-    sizes = np.diff(ends)
-    short = np.flatnonzero((np.diff(offsets) > 0) & (sizes == 0))
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    if len(short):
-        own = []
-        for d in short.tolist():  # fewer words than a shingle: the sequence as one, its length told apart
-            w = words[offsets[d] : offsets[d + 1]]
-            own.append(((w * factors[: len(w)]).sum(dtype=np.uint64) + np.uint64(len(w))) * factors[-1])
-        hashes, owner = np.concatenate([hashes, finish(np.array(own, np.uint64))]), np.concatenate([owner, short])
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
+    inside, ends = window_hashes(words, offsets, width, factors)
+    sizes, lengths = np.diff(ends), np.diff(offsets)
+    short = (lengths > 0) & (sizes == 0)
+    bounds = np.concatenate([[0], np.cumsum(np.where(short, 1, sizes))])
+    hashes = np.empty(bounds[-1], np.uint64)
+    hashes[np.repeat(~short, np.where(short, 1, sizes))] = inside
+    few = np.flatnonzero(short)
+    if len(few):  # fewer words than a shingle: the sequence as one, its length told apart
+        own = np.zeros(len(few), np.uint64)
+        for k in range(width - 1):
+            has = lengths[few] > k
+            own[has] += words[offsets[few[has]] + k] * factors[k]
+        hashes[bounds[few]] = finish((own + lengths[few].astype(np.uint64)) * factors[-1])
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        hashes[a:b].sort()
     new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(sizes)))]).astype(np.int64)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[bounds[:-1][bounds[:-1] < len(hashes)]] = True
+    return hashes[new], np.concatenate([[0], np.cumsum(new)])[bounds]
