@@ -30,8 +30,8 @@ def uniform(seed: int, *columns: str) -> Column:
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, scale: float = 1.0) -> DataFrame:
     """source, rate: with target weights (default: all sources alike) of ``scale`` times the corpus's characters.
 
-    A null source is a source of its own, named ''. Sources that ``weights`` leaves out have weight 0. A source
-    without characters has nothing to repeat to its target and keeps its documents once.
+    A null source is a source of its own, named ''. Sources that ``weights`` leaves out have weight 0; where all
+    sources here have weight 0, all rates are 0. A source without characters has nothing to repeat to its target and keeps its documents once.
     """
     stats = docs.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("source")).agg(F.sum(F.char_length(F.coalesce(F.col("text"), F.lit("")))).cast("long").alias("chars"))
     if weights is None:
@@ -41,7 +41,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, scale: float
         weight = F.coalesce(F.element_at(table, F.col("source")), F.lit(0.0))
     stats = stats.withColumn("weight", weight)
     whole = stats.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weights"))
-    rate = F.when(F.col("chars") > 0, F.lit(float(scale)) * F.col("weight") / F.col("all_weights") * F.col("all_chars") / F.col("chars")).otherwise(F.lit(1.0))
+    rate = F.when(F.col("chars") > 0, F.lit(float(scale)) * F.try_divide("weight", "all_weights") * F.col("all_chars") / F.col("chars")).otherwise(F.lit(1.0))
     return stats.crossJoin(F.broadcast(whole)).select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))  # one row of totals
 
 

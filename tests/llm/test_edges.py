@@ -231,10 +231,35 @@ def test_substring_dedup_matches_brute_force(spark, docs, empty):
     assert {i: got[i] for i, _ in own} == brute_words(own, 50)
 
 
+def test_substring_dedup_of_passages_twice_in_a_document(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
+    shared = [fresh(rng.randrange(60, 160)) for _ in range(5)]
+    a, p, q = fresh(60), fresh(70), fresh(70)
+    rows = [(1, " ".join(fresh(70) + a + fresh(70))), (2, " ".join(p + a + q + p + a + q)), (3, " ".join(q + p + a))]
+    for i in range(10, 60):
+        words = fresh(rng.randrange(30))
+        for _ in range(rng.randrange(1, 4)):
+            passage = rng.choice(shared)
+            words += passage[rng.randrange(30) : rng.choice([len(passage), len(passage) - 9])] + fresh(rng.randrange(3))
+        rows.append((i, " ".join(words + (words[-130:] if i % 2 else []))))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(as_table(spark, rows), 50).collect()}
+    assert got == brute_words(rows, 50) and got[2][1] == 120
+
+
+def test_spans_that_read_otherwise_are_refuted(spark):
+    texts = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(200)))], "doc_id long, text string")
+    copy, other = [f"a{i}" for i in range(30, 190)], [f"a{i}" for i in range(30, 190)]
+    other[100] = "b"
+    spans = lambda at: [(0, 111, 1, at)]
+    losing = spark.createDataFrame([(2, " ".join(copy), spans(30)), (3, " ".join(other), spans(30)), (4, " ".join(copy), spans(31))], f"doc_id long, text string, spans {substring_dedup.SPANS}")
+    assert sorted((r.doc_id, r.wrong) for r in substring_dedup.refuted(losing, texts, 50).collect()) == [(3, [0]), (4, [0])]
+
+
 def test_personal_data(docs, empty):
     got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
     assert pii.personal_data(empty).count() == 0
-    assert got[9].spans == "email:11:17,card:18:37" and (got[9].n_email, got[9].n_card) == (1, 1)
+    assert got[9].spans == "email:10:16,card:17:36" and (got[9].n_email, got[9].n_card) == (1, 1)
     assert got[3].spans == "" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
@@ -293,7 +318,17 @@ def test_mixing(spark, docs, empty):
     for r in copies:
         if (want := 1000 * mixing.expected_share(rate, r["count"])) > 50:
             assert r.n == pytest.approx(want, rel=0.35)
-    assert mixing.mix(docs, {"other": 1.0}).count() == 0 and mixing.mix(docs).count() > 0
+    for weights in ({"other": 1.0}, {}, {"s": 0.0}):
+        assert mixing.mix(docs, weights).count() == 0
+    assert mixing.mix(docs).count() > 0
+
+
+def test_mixing_of_a_source_of_one_character(spark):
+    table = as_table(spark, [(0, "x", "en", "tiny"), *((i, "abcd" * 100, "en", "big") for i in range(1, 21))])
+    rate = {r.source: r.rate for r in mixing.rates(table).collect()}
+    assert rate["tiny"] == pytest.approx(4000.5)
+    got = mixing.mix(table).groupBy("source").count().collect()
+    assert abs(next(r["count"] for r in got if r.source == "tiny") - rate["tiny"]) < 6 * rate["tiny"] ** 0.5
 
 
 def test_pipeline_stages(spark, tmp_path):
