@@ -287,11 +287,41 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in language_id.predict(docs, None).collect()} == {"und"}
 
 
+def test_stretches_give_what_a_plain_loop_over_positions_gives():
+    m = language_id.BiGru.fresh(["a", "b", "c"], 2)
+    sign = lambda v: v / (1 + np.abs(v))
+
+    def walk(raw, k):
+        h, out, size = np.zeros(language_id.HIDDEN), {}, language_id.HIDDEN
+        for at, byte in raw:
+            pre, rec = m.inputs[k][byte], h @ m.recurrent[k]
+            z, r = (0.5 + 0.5 * sign(pre[s] + rec[s]) for s in (slice(0, size), slice(size, 2 * size)))
+            n = sign(pre[2 * size :] + r * rec[2 * size :])
+            h = (1 - z) * n + z * h
+            out[at] = h
+        return out
+
+    rng = np.random.default_rng(0)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (0, 1, 5, 300, 256, 900)]
+    got = language_id.text_sums(m, np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    for text, sums in zip(texts, got):
+        want = np.zeros(3)
+        for b in range(0, len(text), language_id.STRIDE):
+            e, full = min(b + language_id.STRIDE, len(text)), list(enumerate(text))
+            around = full[max(0, b - language_id.OVERLAP) : e + language_id.OVERLAP]
+            ahead, behind = walk(around, 0), walk(around[::-1], 1)
+            for at in range(b, e):
+                logits = np.concatenate([ahead[at], behind[at]]) @ m.out + m.bias
+                want += np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert sums == pytest.approx(want, rel=1e-4)
+
+
 def test_gradient_is_the_slope():
     m = language_id.BiGru.fresh(["a", "b", "c"], 1)
     m.inputs, m.recurrent = [w.astype(np.float64) for w in m.inputs], [w.astype(np.float64) for w in m.recurrent]
     m.out, m.bias = m.out.astype(np.float64), m.bias.astype(np.float64)
-    x, y = np.random.default_rng(0).integers(0, 256, (5, 4)).astype(np.uint8), np.array([0, 1, 2, 0, 1])
+    x, y = np.random.default_rng(0).integers(0, 256, (5, 4)), np.array([0, 1, 2, 0, 1])
+    x[1, 2:] = x[4, 3:] = language_id.PAD
     _, grads = language_id.gradients(m, x, y)
     for w, g in zip(m.weights(), grads):
         at = np.unravel_index(np.argmax(np.abs(g)), w.shape)
