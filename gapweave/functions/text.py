@@ -107,16 +107,17 @@ def label(title: Column, path: Column) -> Column:
 def short_label(text: Column) -> Column:
     """The part after the last ' > ', clipped and escaped for a graph node."""
     last = clipped(F.element_at(F.split(text, " > "), -1), SHORT_LABEL, "…")
-    return F.replace(F.replace(last, F.lit('"'), F.lit("#quot;")), F.lit("`"), F.lit("#96;"))
+    return F.replace(F.replace(last, F.lit('"'), F.lit("#quot;")), F.lit("`"), F.lit("'"))
 
 
 def heading_id(title: Column) -> Column:
-    """Lower case, spaces as hyphens, only letters of any script, digits, hyphens and underscores kept."""
-    return F.regexp_replace(F.replace(F.lower(title), F.lit(" "), F.lit("-")), r"[^\p{L}\p{M}\p{Nd}_-]", "")
+    """Lower case, spaces as hyphens, and of the rest only ASCII letters, digits, hyphens and underscores."""
+    return F.regexp_replace(F.replace(F.lower(title), F.lit(" "), F.lit("-")), "[^a-z0-9_-]", "")
 
 
 def html_anchors(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"<a\s+(?:name|id)\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
+    """Names and ids of <a> tags, in any case, in double quotes."""
+    return F.regexp_extract_all(text, F.lit(r'(?i)<a\s+(?:name|id)\s*=\s*"([^"]+)"'), F.lit(1))
 
 
 def internal_links(text: Column) -> Column:

@@ -28,5 +28,10 @@ def unit(a: Column) -> Column:
 
 def mean_of(vectors: Column) -> Column:
     """Element-wise mean of an array of vectors of one size; null for none."""
-    total = F.aggregate(F.slice(vectors, 2, F.greatest(F.size(vectors) - 1, F.lit(0))), F.get(vectors, F.lit(0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-    return F.when(F.size(vectors) > 0, F.transform(total, lambda x: x / F.size(vectors)))
+    return F.when(F.size(vectors) > 0, F.transform(sum_of(vectors), lambda x: x / F.size(vectors)))
+
+
+def sum_of(vectors: Column) -> Column:
+    """Element-wise sum of an array of vectors, as long as the longest; null for none."""
+    rest = F.slice(vectors, 2, F.greatest(F.size(vectors) - 1, F.lit(0)))
+    return F.aggregate(rest, F.get(vectors, F.lit(0)), lambda s, v: F.zip_with(s, v, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))

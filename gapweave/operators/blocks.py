@@ -35,16 +35,14 @@ def with_heading_path(blocks: DataFrame, title: str = "title") -> DataFrame:
     return named.withColumn("heading_path", path).drop(*[f"_{n}{k}" for n in ("at", "title") for k in range(1, PSEUDO_LEVEL + 1)])
 
 
-def with_estimates(blocks: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds raw (the block's bytes), tokens and lines."""
-    joined = blocks.join(sources.select("doc_id", "content"), "doc_id")
-    raw = T.slice_bytes(F.col("content"), F.col("start_byte"), F.col("end_byte"))
-    return joined.withColumn("raw", raw).withColumns({"tokens": T.token_estimate(F.col("text")), "lines": T.line_estimate(F.col("raw"))}).drop("content")
+def with_estimates(blocks: DataFrame) -> DataFrame:
+    """Adds tokens and lines, of text and raw."""
+    return blocks.withColumns({"tokens": T.token_estimate(F.col("text")), "lines": T.line_estimate(F.col("raw"))})
 
 
 def blocks_of(sources: DataFrame) -> DataFrame:
-    """Parsed blocks with paths and estimates."""
-    return with_estimates(with_heading_path(parse(sources).withColumn("is_pseudo", F.lit(False))), sources)
+    """Parsed blocks with paths and estimates; their bytes (raw) come from the scanner, and sources are read once."""
+    return with_estimates(with_heading_path(parse(sources).withColumn("is_pseudo", F.lit(False))))
 
 
 def detect_pseudo_headings(blocks: DataFrame, config: T.PseudoHeadingConfig = T.PseudoHeadingConfig()) -> DataFrame:

@@ -40,7 +40,7 @@ def index_markdown(named: DataFrame, edge_table: DataFrame) -> DataFrame:
     steps = _lines(steps.select("doc_id", "seg_idx", F.format_string("  %d --> %d\n", "seg_idx", "next").alias("line")), "line", "seg_idx")
     refs = _lines(edge_table.select("doc_id", "from_seg", "nth", F.format_string("  %d -.->|%s| %d\n", "from_seg", "type", "to_seg").alias("line")), "line", "from_seg", "nth")
     joined = table.withColumnRenamed("text", "t").join(boxes.withColumnRenamed("text", "b"), "doc_id").join(steps.withColumnRenamed("text", "s"), "doc_id", "left").join(refs.withColumnRenamed("text", "r"), "doc_id", "left")
-    body = F.concat(F.lit("# Index\n\n| # | File | Section |\n|---|---|---|\n"), F.col("t"), F.lit("\n## Graph\n\n```mermaid\ngraph LR\n"), F.col("b"), F.coalesce("s", F.lit("")), F.coalesce("r", F.lit("")), F.lit("```\n"))
+    body = F.concat(F.lit("# Index\n\n| # | File | Section |\n|---|------|--------|\n"), F.col("t"), F.lit("\n## Graph\n\n```mermaid\ngraph LR\n"), F.col("b"), F.coalesce("s", F.lit("")), F.coalesce("r", F.lit("")), F.lit("```\n"))
     return joined.select("doc_id", body.alias("index_md"))
 
 

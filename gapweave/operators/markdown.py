@@ -229,16 +229,30 @@ def scan(content: bytes) -> list[tuple[int, str, str, str | None, int, int, int]
     return [(k, kind, text, title, level, starts[k], ends[k]) for k, (_, kind, text, title, level) in enumerate(found)]
 
 
+#: Bytes of sources whose blocks are held at once.
+BATCH_BYTES = 8 << 20
+
+
 def parse(sources: DataFrame) -> DataFrame:
     """Block rows (``RAW_BLOCKS``) of sources (doc_id, content). A null or blank content has none."""
 
+    types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    names = ["doc_id", "block_idx", "kind", "text", "title", "heading_level", "start_byte", "end_byte", "raw"]
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(doc_id, *b) for b in scan(content or b"")]
-            columns = list(zip(*rows)) or [()] * 8
-            types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "block_idx", "kind", "text", "title", "heading_level", "start_byte", "end_byte"])
+            rows, size = [], 0
+            for doc_id, value in zip(batch.column(0), batch.column(1)):
+                content = value.as_py() or b""
+                rows += [(doc_id.as_py(), *b, content[b[-2] : b[-1]]) for b in scan(content)]
+                size += len(content)
+                if size >= BATCH_BYTES:
+                    yield as_batch(rows)
+                    rows, size = [], 0
+            yield as_batch(rows)
 
     return sources.select("doc_id", "content").mapInArrow(run, RAW_BLOCKS)

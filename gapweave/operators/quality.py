@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T, vectors as V
 
 
+#: Blocks whose vectors are gathered in one list.
+PART_SIZE = 1024
+
+
+def part_of() -> Column:
+    return F.floor(F.col("block_idx") / PART_SIZE)
+
+
 def coherence(assigned: DataFrame, vectors: DataFrame) -> DataFrame:
     """doc_id, seg_idx, coherence: mean pairwise cosine of a segment's vectors; 1 for one block.
 
     The sum over pairs is had from the sum of unit vectors, (|sum|^2 - k) / (n (n - 1)) with k vectors that have a
     direction, so that a segment costs one sum and not a self-join. Blocks without a vector, or one of another size
-    than the segment's first, count as without direction.
+    than the segment's first, count as without direction. Vectors are summed in parts of ``PART_SIZE``, so that no list grows
+    with a segment.
     """
     joined = assigned.select("doc_id", "seg_idx", "block_idx").join(vectors.select("doc_id", "block_idx", "vector"), ["doc_id", "block_idx"], "left")
     size = F.max_by(F.size("vector"), F.when(F.size("vector") > 0, -F.col("block_idx"))).over(Window.partitionBy("doc_id", "seg_idx"))
     rows = joined.withColumn("u", F.when(F.size("vector") == size, V.unit(F.col("vector"))))
-    n = rows.groupBy("doc_id", "seg_idx").agg(F.count(F.lit(1)).alias("n"), F.count("u").alias("k"))
-    sums = rows.select("doc_id", "seg_idx", F.posexplode("u").alias("i", "x")).groupBy("doc_id", "seg_idx", "i").agg(F.sum("x").alias("s"))
-    squares = sums.groupBy("doc_id", "seg_idx").agg(F.sum(F.col("s") * F.col("s")).alias("q"))
-    mean = F.when(F.col("n") <= 1, F.lit(1.0)).otherwise((F.coalesce("q", F.lit(0.0)) - F.col("k")) / (F.col("n") * (F.col("n") - 1)))
-    return n.join(squares, ["doc_id", "seg_idx"], "left").select("doc_id", "seg_idx", mean.alias("coherence"))
+    parts = rows.groupBy("doc_id", "seg_idx", part_of()).agg(F.count(F.lit(1)).alias("n"), F.count("u").alias("k"), V.sum_of(F.collect_list("u")).alias("s"))
+    sums = parts.groupBy("doc_id", "seg_idx").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), V.sum_of(F.collect_list("s")).alias("s"))
+    square = F.coalesce(V.dot(F.col("s"), F.col("s")), F.lit(0.0))
+    mean = F.when(F.col("n") <= 1, F.lit(1.0)).otherwise((square - F.col("k")) / (F.col("n") * (F.col("n") - 1)))
+    return sums.select("doc_id", "seg_idx", mean.alias("coherence"))
 
 
 def mean_vectors(assigned: DataFrame, vectors: DataFrame) -> DataFrame:
-    """doc_id, seg_idx, vector: element-wise mean of the segment's vectors, missing and empty ones left out."""
-    joined = assigned.select("doc_id", "seg_idx", "block_idx").join(vectors, ["doc_id", "block_idx"])
-    items = joined.select("doc_id", "seg_idx", F.posexplode("vector").alias("i", "x")).groupBy("doc_id", "seg_idx", "i").agg(F.avg("x").alias("m"))
-    return items.groupBy("doc_id", "seg_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("vector"))
+    """doc_id, seg_idx, vector: element-wise mean of the segment's vectors, missing and empty ones left out.
+
+    An element that only some vectors reach is the mean of those.
+    """
+    joined = assigned.select("doc_id", "seg_idx", "block_idx").join(vectors.where(F.size("vector") > 0), ["doc_id", "block_idx"])
+    parts = joined.groupBy("doc_id", "seg_idx", part_of()).agg(V.sum_of(F.collect_list("vector")).alias("s"), F.collect_list(F.size("vector")).alias("sizes"))
+    sums = parts.groupBy("doc_id", "seg_idx").agg(V.sum_of(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("sizes")).alias("sizes"))
+    reached = lambda i: F.when(F.array_min("sizes") == F.array_max("sizes"), F.size("sizes")).otherwise(F.size(F.filter("sizes", lambda n: n > i)))
+    return sums.select("doc_id", "seg_idx", F.transform("s", lambda x, i: x / reached(i)).alias("vector"))
 
 
 def document_metrics(coherences: DataFrame, confidences: DataFrame) -> DataFrame:

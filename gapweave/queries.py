@@ -197,12 +197,12 @@ def strip_markdown(spark, sf_dir):
 
 
 @query(r"""
-SELECT doc_id, rtrim(left(trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(left(text, 80), '^[\s\x{85}\p{Z}]+', ''), '[\s\x{85}\p{Z}]+$', ''),
+SELECT doc_id, rtrim(left(trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^[\s\x{85}\p{Z}]+', ''), '[\s\x{85}\p{Z}]+$', ''),
     '[^a-zA-Z0-9 \p{P}\p{S}]', '', 'g'), '[ \p{P}\p{S}]+', '-', 'g')), '-'), 50), '-') AS slug
 FROM documents""")
 def slugify(spark, sf_dir):
-    """F11 over the first 80 characters."""
-    return tables.table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.left("text", F.lit(80))).alias("slug"))
+    """F11."""
+    return tables.table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query(f"WITH {CONV} SELECT doc_id, seg_idx, filename FROM ids")
@@ -604,7 +604,7 @@ t AS (SELECT doc_id, string_agg('| ' || (seg_idx + 1) || ' | [' || filename || '
              string_agg('  ' || seg_idx || '["' || (seg_idx + 1) || '. ' || title || '"]' || chr(10), '' ORDER BY seg_idx) AS b,
              coalesce(string_agg('  ' || (seg_idx - 1) || ' --> ' || seg_idx || chr(10), '' ORDER BY seg_idx) FILTER (seg_idx > 0), '') AS s FROM named GROUP BY ALL),
 r AS (SELECT doc_id, string_agg('  ' || from_seg || ' -.->|link| ' || to_seg || chr(10), '' ORDER BY from_seg, nth) AS r FROM edges GROUP BY ALL)
-SELECT doc_id, '# Index' || chr(10) || chr(10) || '| # | File | Section |' || chr(10) || '|---|---|---|' || chr(10) || t || chr(10) || '## Graph' || chr(10) || chr(10) || '```mermaid' || chr(10) || 'graph LR' || chr(10) || b || s || coalesce(r, '') || '```' || chr(10) AS index_md
+SELECT doc_id, '# Index' || chr(10) || chr(10) || '| # | File | Section |' || chr(10) || '|---|------|--------|' || chr(10) || t || chr(10) || '## Graph' || chr(10) || chr(10) || '```mermaid' || chr(10) || 'graph LR' || chr(10) || b || s || coalesce(r, '') || '```' || chr(10) AS index_md
 FROM t LEFT JOIN r USING (doc_id)""")
 def index_markdown(spark, sf_dir):
     """F19, K7."""
@@ -766,7 +766,7 @@ def split_list(spark, sf_dir):
 
 
 @query(r"""
-SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a\s+(?:name|id)\s*=\s*["'']([^"'']+)["'']', 1))) AS anchors, len(regexp_extract_all(html, '\[([^\]]*)\]\(#([^)]+)\)', 2)) AS links
+SELECT page_id, len(list_distinct(regexp_extract_all(html, '(?i)<a\s+(?:name|id)\s*=\s*"([^"]+)"', 1))) AS anchors, len(regexp_extract_all(html, '\[([^\]]*)\]\(#([^)]+)\)', 2)) AS links
 FROM pages""")
 def page_anchors(spark, sf_dir):
     """F17, F18 over raw pages."""

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 SOURCES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source_name", T.StringType()), T.StructField("content", T.BinaryType())])
 #: What the Markdown scanner emits.
-RAW_BLOCKS = "doc_id long, block_idx int, kind string, text string, title string, heading_level int, start_byte int, end_byte int"
+RAW_BLOCKS = "doc_id long, block_idx int, kind string, text string, title string, heading_level int, start_byte int, end_byte int, raw binary"
 #: Gold annotations, see sources.read_gold.
 GOLD = T.StructType(
     [

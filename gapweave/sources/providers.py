@@ -30,9 +30,12 @@ BLANK = "(empty)"
 MAX_REPLY = 100 << 20
 #: Short names of sentence-transformer models.
 SENTENCE_MODELS = {
-    "minilm": "sentence-transformers/all-MiniLM-L6-v2",
-    "mpnet": "sentence-transformers/all-mpnet-base-v2",
-    "multilingual": "sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2",
+    "minilm": "all-MiniLM-L6-v2",
+    "stella": "dunzhang/stella_en_400M_v5",
+    "stella-400m": "dunzhang/stella_en_400M_v5",
+    "e5-large": "intfloat/e5-large-v2",
+    "e5-instruct": "intfloat/e5-large-instruct",
+    "bge-large": "BAAI/bge-large-en-v1.5",
 }
 
 
