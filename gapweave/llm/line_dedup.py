@@ -115,9 +115,12 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN
     within = lambda i: F.exists("_runs", lambda r: (r["begin"] <= i) & (i < r["end"]))
     kept = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~within(i)), "\n"))
     removed = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["end"] - r["begin"])
-    return joined.select(
-        *[kept.alias(c) if c == "text" else F.col(c) for c in docs.columns],
+    made = F.struct(
+        kept.alias("_kept"),
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("_longest", F.lit(0)).cast("long").alias("longest_run"),
     )
+    # made once for each row: a caller's filter is not copied through a generator as it is through a projection
+    rows = joined.select(*[c for c in docs.columns if c != "text"], F.inline(F.array(made)))
+    return rows.select(*[F.col("_kept").alias(c) if c == "text" else F.col(c) for c in docs.columns], "n_lines", "n_removed", "longest_run")
