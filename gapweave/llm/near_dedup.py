@@ -223,8 +223,10 @@ def confirmed(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             names = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
             starts = np.concatenate([[0], 1 + np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0))])
-            yield from links_of(rows, starts)
+            if len(starts) > 1:
+                yield from links_of(rows, starts)
             held = rows.slice(int(starts[-1]))
+            tokens.give_back()
         if held is not None:
             yield from links_of(held, np.array([0, held.num_rows]))
 

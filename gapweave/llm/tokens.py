@@ -7,7 +7,9 @@ white-space-separated words in a row, and encoding each distinct word of a batch
 
 from __future__ import annotations
 
+import ctypes
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Bytes of text handled at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Fixed value: special tokens in this tokenizer begin so; such texts go to the tokenizer as they are.
 SPECIAL = "<|"
 #: Code points from here on, and apostrophes and spaces beyond ASCII, are left to the tokenizer library.
@@ -198,6 +200,13 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark uses a Python worker again, with what its last task has left unused."""
+    pa.default_memory_pool().release_unused()
+    if os.name == "posix" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with at most ``limit`` bytes of text each (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -207,3 +216,4 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
