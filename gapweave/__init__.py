@@ -6,6 +6,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+__version__ = "0.2.0"
+
 _shipped: set[str] = set()
 
 

@@ -16,11 +16,12 @@ import sys
 
 from pyspark.sql import SparkSession, functions as F
 
-from . import ship
+from . import __version__, ship
 from .operators import detect as D, evaluate as E, links as L, render as R
 from .plans.pipeline import Config, run
 from .sources import files
-from .sources.providers import ProviderConfig, create
+from .sources.llm_detector import LlmDetector, gemini_call
+from .sources.providers import ProviderConfig, cached, create, http_post
 
 log = logging.getLogger("gapweave")
 
@@ -30,11 +31,11 @@ class JsonLines(logging.Formatter):
         return json.dumps({"time": self.formatTime(record), "level": record.levelname.lower(), "msg": record.getMessage()}, ensure_ascii=False)
 
 
-def set_up_log(quiet: bool, style: str) -> None:
+def set_up_log(quiet: bool, style: str, debug: bool = False) -> None:
     handler = logging.StreamHandler(sys.stderr)
     handler.setFormatter(JsonLines() if style == "json" else logging.Formatter("%(levelname)s: %(message)s"))
     log.handlers[:] = [handler]
-    log.setLevel(logging.ERROR if quiet else logging.INFO)
+    log.setLevel(logging.ERROR if quiet else logging.DEBUG if debug else logging.INFO)
 
 
 def session() -> SparkSession:
@@ -47,6 +48,8 @@ def session() -> SparkSession:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="gapweave", description="Split Markdown where its topics change.")
     top.add_argument("--quiet", action="store_true")
+    top.add_argument("--debug", action="store_true")
+    top.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
     top.add_argument("--log-format", choices=("text", "json"), default="text")
     commands = top.add_subparsers(dest="command", required=True)
     split = commands.add_parser("split", help="split Markdown files into segments")
@@ -60,6 +63,11 @@ def parser() -> argparse.ArgumentParser:
     split.add_argument("--jsonl", nargs="?", const="auto", help="write JSON lines to a path, - or the output folder")
     split.add_argument("--state-file", help="skip sources that the state has unchanged")
     split.add_argument("--refine", action="store_true", help="make vectors and split at deep gaps")
+    split.add_argument("--detector", choices=("headings", "llm"), default="headings")
+    split.add_argument("--llm-model", default="", help="model asked for boundaries")
+    split.add_argument("--llm-refine", action="store_true", help="show the model the similarities of neighbours")
+    split.add_argument("--cache", help="folder that keeps vectors between runs")
+    split.add_argument("--agent-metadata", action="store_true", help="segment ids and coherence in JSON lines")
     split.add_argument("--overlap", type=int, default=0)
     split.add_argument("--context-format", default="comment", choices=("comment", "front-matter", "heading", "none"))
     split.add_argument("--context-max-depth", type=int, default=0)
@@ -95,9 +103,15 @@ def config_of(args: argparse.Namespace) -> Config:
     from .operators.segments import OptimizeConfig
 
     refined = {}
+    if args.refine or args.llm_refine:
+        provider = ProviderConfig(args.embedder, args.embed_model, batch=args.batch_size, partitions=args.embed_concurrency, qps=args.embed_qps, post=http_post)
+        refined["embedder"] = cached(provider, args.cache) if args.cache else create(provider)
     if args.refine:
-        provider = ProviderConfig(args.embedder, args.embed_model, batch=args.batch_size, partitions=args.embed_concurrency, qps=args.embed_qps)
-        refined = {"detector": D.DepthThreshold(), "embedder": create(provider)}
+        refined["detector"] = D.DepthThreshold()
+    if args.detector == "llm" or args.llm_refine:
+        if not (key := os.environ.get("GEMINI_API_KEY")):
+            raise SystemExit("GEMINI_API_KEY is needed to ask a language model for boundaries")
+        refined["detector"] = LlmDetector(gemini_call(args.llm_model, key, http_post))
     return Config(optimize=OptimizeConfig(args.min_tokens, args.max_tokens, args.max_lines, args.barrier), context_style=args.context_format, context_depth=args.context_max_depth, overlap=args.overlap, prefix=args.prefix, **refined)
 
 
@@ -136,7 +150,8 @@ def split(args: argparse.Namespace) -> int:
                 others = I.load_state(spark, args.state_file).join(sources.select("source_name"), "source_name", "left_anti").cache()
                 I.save_state(others.unionByName(I.build_state(segments, sources)), args.state_file)
         if args.jsonl and not (args.dry_run and args.jsonl != "-"):
-            lines = [r.line for r in R.jsonl(segments).orderBy("seg_idx").toLocalIterator()]
+            shown = segments if args.agent_metadata else segments.drop("coherence", "boundary_confidence").withColumns({c: F.lit("") for c in ("segment_id", "prev_segment_id", "next_segment_id")})
+            lines = [r.line for r in R.jsonl(shown).orderBy("seg_idx").toLocalIterator()]
             target = sys.stdout if args.jsonl == "-" else open(os.path.join(folder, "metadata.jsonl") if args.jsonl == "auto" else args.jsonl, "w", encoding="utf-8")  # noqa: SIM115
             target.write("".join(f"{x}\n" for x in lines))
             if target is not sys.stdout:
@@ -189,7 +204,7 @@ def merge(args: argparse.Namespace) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    set_up_log(args.quiet, args.log_format)
+    set_up_log(args.quiet, args.log_format, args.debug)
     return {"split": split, "bench": bench, "merge": merge}[args.command](args)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.detect import validate
 from ..operators.render import ordered_text
+from .providers import Post, http_post
 
 #: What the model is told, by whether the document has headings and similarities come along.
 INSTRUCTIONS = {
@@ -34,6 +35,22 @@ def prompts(blocks: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     return doc.select("doc_id", said.alias("instruction"), F.concat(head, F.col("body")).alias("prompt"))
 
 
+#: Fixed value: the model asked where none is named.
+DEFAULT_MODEL = "gemini-2.5-flash-lite"
+
+
+def gemini_call(model: str, key: str, post: Post = http_post) -> Callable[[str, str, dict, float], str]:
+    """A transport to a Gemini model, which answers in JSON of the schema."""
+    url = f"https://generativelanguage.googleapis.com/v1beta/models/{model or DEFAULT_MODEL}:generateContent"
+
+    def call(instruction: str, prompt: str, schema: dict, temperature: float) -> str:
+        said = {"temperature": temperature, "responseMimeType": "application/json", "responseSchema": schema}
+        payload = {"systemInstruction": {"parts": [{"text": instruction}]}, "contents": [{"role": "user", "parts": [{"text": prompt}]}], "generationConfig": said}
+        return post(url, payload, {"x-goog-api-key": key})["candidates"][0]["content"]["parts"][0]["text"]
+
+    return call
+
+
 class LlmDetector:
     """``call(instruction, prompt, schema, temperature) -> JSON text`` is run on the executors, once for a document."""
 

@@ -13,14 +13,14 @@ import time
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import embed
-from ..schema import EMBEDDINGS
+from ..schema import CACHE, EMBEDDINGS
 
 Embed = Callable[[DataFrame], DataFrame]
 Post = Callable[[str, dict, dict], dict]
@@ -63,11 +63,14 @@ def available() -> list[str]:
     return sorted(_registry)
 
 
+def resolved(config: ProviderConfig) -> ProviderConfig:
+    """``auto`` is gemini where its key is set, else tfidf."""
+    return replace(config, name="gemini" if os.environ.get("GEMINI_API_KEY") else "tfidf") if config.name == "auto" else config
+
+
 def create(config: ProviderConfig) -> Embed:
-    """The provider of that name; ``auto`` is gemini where its key is set, else tfidf."""
-    name = config.name
-    if name == "auto":
-        name = "gemini" if os.environ.get("GEMINI_API_KEY") else "tfidf"
+    """The provider of that name."""
+    name = resolved(config).name
     if name not in _registry:
         raise ValueError(f"unknown provider {name!r}; there are {', '.join(available())}")
     return _registry[name](config)
@@ -155,3 +158,29 @@ def with_cache(blocks: DataFrame, cache: DataFrame, config: ProviderConfig, prov
     made = once.select("key", "doc_id", "block_idx").join(provider(once.select("doc_id", "block_idx", "text")), ["doc_id", "block_idx"]).select("key", "vector")
     fresh = missing.join(made, "key").select("doc_id", "block_idx", "vector")
     return known.unionByName(fresh), made
+
+
+def load_cache(spark: SparkSession, path: str) -> DataFrame:
+    """key, vector of the cache at a path, one row for each key; none where there is no cache yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], CACHE)
+    return spark.read.schema(CACHE).parquet(path).groupBy("key").agg(F.min("vector").alias("vector"))
+
+
+def cached(config: ProviderConfig, path: str) -> Embed:
+    """The provider of that name behind a cache stored at a path: what it lacks is asked for once, in the provider's
+    batches and at its rate, and appended, and all vectors are then read from it.
+    """
+    config = resolved(config)
+    provider = create(config)
+    if config.name == "tfidf":
+        return provider
+
+    def embed_blocks(blocks: DataFrame) -> DataFrame:
+        spark = blocks.sparkSession
+        _, made = with_cache(blocks, load_cache(spark, path), config, provider)
+        made.write.mode("append").parquet(path)
+        return keyed(blocks, config).join(load_cache(spark, path), "key").select("doc_id", "block_idx", "vector")
+
+    return embed_blocks

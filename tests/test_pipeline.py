@@ -146,3 +146,40 @@ def test_entry_and_queries_have_matching_names():
 
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len(names) > 60
+
+
+def test_a_run_again_gives_its_own_changes(spark, tmp_path):
+    state, given = f"file://{tmp_path}/state", {1: TEXT, 2: "# A\n\nb\n"}
+    first = I.update(spark, sources(spark, given), state, run_name="one")
+    again = I.update(spark, sources(spark, given), state, run_name="one")
+    assert sorted(first.collect()) == sorted(again.collect()) != []
+    I.save_state(I.load_state(spark, state), state)
+    assert sorted(first.collect()) == sorted(again.collect())  # the version before the last is still there
+    (tmp_path / "state" / "v-9").mkdir()  # a run that failed before its marker
+    assert I.load_state(spark, state).count() > 0 and [n for n, _ in I.versions(spark, state)] == [1, 2]
+
+
+def test_model_and_cache_on_the_command_line(spark, tmp_path, monkeypatch, capsys):
+    from gapweave import cli
+    from gapweave.sources import providers
+
+    note, asked = tmp_path / "note.md", f"{tmp_path}/asked"
+    note.write_text("# One\n\nalpha\n\nbeta\n\ngamma\n")
+
+    def post(url, payload, headers):
+        with open(asked, "a") as out:
+            out.write(url.rsplit(":", 1)[1] + "\n")
+        if "generateContent" in url:
+            return {"candidates": [{"content": {"parts": [{"text": '{"boundaries": [1]}'}]}}]}
+        return {"embeddings": [{"values": [1.0, float(len(r["content"]["parts"][0]["text"]))]} for r in payload["requests"]]}
+
+    monkeypatch.setenv("GEMINI_API_KEY", "k")
+    monkeypatch.setattr(cli, "http_post", post)
+    batches = []
+    for n in (1, 2):
+        said = ["split", str(note), "--out", f"{tmp_path}/out{n}", "--llm-refine", "--cache", f"{tmp_path}/cache", "--json", "--jsonl", "-"]
+        assert cli.main(said) == 0
+        out = capsys.readouterr().out
+        assert '"boundaries": [1]' in out and "segment_id" not in out
+        batches.append(open(asked).read().split().count("batchEmbedContents"))
+    assert batches[0] == batches[1] > 0 and providers.load_cache(spark, f"{tmp_path}/cache").count() == 4
