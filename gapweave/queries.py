@@ -436,25 +436,37 @@ def _sizes(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("doc_id", "seg_idx").agg(F.min("block_idx").alias("first_block"), F.sum("tokens").alias("token_count"))
 
 
-@query()
+# From small (doc_id, a: first block, t: tokens), the scan that starts over after each merge; lists hold what is left.
+MERGE = """small AS ({small}),
+scan AS (
+    SELECT doc_id, list(t ORDER BY a) AS ts, list(a ORDER BY a) AS firsts FROM small GROUP BY doc_id
+    UNION ALL
+    SELECT doc_id, list_slice(ts, 1, j - 1) || [ts[j] + ts[j + 1]] || list_slice(ts, j + 2, len(ts)), list_slice(firsts, 1, j) || list_slice(firsts, j + 2, len(firsts))
+    FROM (SELECT *, CASE WHEN i = 1 THEN 1 WHEN i = len(ts) OR ts[i - 1] <= ts[i + 1] THEN i - 1 ELSE i END AS j
+          FROM (SELECT *, list_position([x < {least} FOR x IN ts], true) AS i FROM scan) WHERE i > 0 AND len(ts) > 1)),
+merged AS (SELECT doc_id, unnest(f.firsts) AS a, unnest(f.ts) AS t FROM (SELECT doc_id, arg_min({{'ts': ts, 'firsts': firsts}}, len(ts)) AS f FROM scan GROUP BY doc_id))"""
+
+
+@query(f"WITH RECURSIVE {CONV}, {MERGE.format(small='SELECT doc_id, first_block AS a, token_count AS t FROM segs', least=MIN_TOKENS)} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS seg_idx, a AS first_block, t::BIGINT AS token_count FROM merged")
 def merge_undersized(spark, sf_dir):
-    """Q1: an order-dependent fold; held against plain code in the tests."""
+    """Q1: an order-dependent fold."""
     return _sizes(S.merge_undersized(by_headings(conv_blocks(spark, sf_dir)), MIN_TOKENS))
 
 
-@query(f"""
-WITH RECURSIVE {CONV},
-parts2 AS (SELECT doc_id, seg_idx, first_block AS a, last_block AS z, 0 AS depth FROM segs),
+# From whole (doc_id, a: first block, z: last block) and blocks, cuts in the middle until nothing is over the limit.
+CUT = """whole AS ({whole}),
 cut AS (
-    SELECT * FROM parts2
+    SELECT doc_id, a, z, 0 AS depth FROM whole
     UNION ALL
-    SELECT c.doc_id, c.seg_idx, h.a, h.z, c.depth + 1 FROM cut c, LATERAL (SELECT sum(tokens) AS t FROM blocks b WHERE b.doc_id = c.doc_id AND b.block_idx BETWEEN c.a AND c.z) s,
+    SELECT c.doc_id, h.a, h.z, c.depth + 1 FROM cut c, LATERAL (SELECT sum(tokens) AS t FROM blocks b WHERE b.doc_id = c.doc_id AND b.block_idx BETWEEN c.a AND c.z) s,
         LATERAL (SELECT c.a AS a, c.a + greatest((c.z - c.a + 1) // 2 - 1, 0) AS z UNION ALL SELECT c.a + greatest((c.z - c.a + 1) // 2 - 1, 0) + 1, c.z) h
-    WHERE c.z > c.a AND s.t > {MAX_TOKENS} AND c.depth < 20),
+    WHERE c.z > c.a AND s.t > {limit} AND c.depth < 20),
 done AS (
     SELECT c.doc_id, c.a, c.z, s.t FROM cut c, LATERAL (SELECT sum(tokens) AS t FROM blocks b WHERE b.doc_id = c.doc_id AND b.block_idx BETWEEN c.a AND c.z) s
-    WHERE c.z = c.a OR s.t <= {MAX_TOKENS} OR c.depth >= 20)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS seg_idx, a AS first_block, t::BIGINT AS token_count FROM done""")
+    WHERE c.z = c.a OR s.t <= {limit} OR c.depth >= 20)"""
+
+
+@query(f"WITH RECURSIVE {CONV}, {CUT.format(whole='SELECT doc_id, first_block AS a, last_block AS z FROM segs', limit=MAX_TOKENS)} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS seg_idx, a AS first_block, t::BIGINT AS token_count FROM done")
 def split_oversized(spark, sf_dir):
     """Q2 without depths: cuts in the middle."""
     return _sizes(S.split_oversized(by_headings(conv_blocks(spark, sf_dir)), None, MAX_TOKENS, 0))
@@ -484,9 +496,19 @@ def pack_barrier(spark, sf_dir):
     return _sizes(S.pack_segments(S.split_at(b, D.FixedSplit(FIXED).detect(b)), 400, 0, barrier=2))
 
 
-@query()
+SNAPPED = f"""{LAST}, plain AS (SELECT *, max(CASE WHEN kind <> 'heading' THEN block_idx END) OVER (PARTITION BY doc_id ORDER BY block_idx) AS plain FROM last),
+snapped AS (SELECT DISTINCT doc_id, CASE WHEN kind = 'heading' AND block_idx > 0 THEN greatest(coalesce(plain, -1), 0) ELSE block_idx END AS gap_idx FROM plain WHERE (block_idx + 1) % 2 = 0 AND block_idx < top),
+numbered AS (SELECT b.doc_id, b.block_idx, b.tokens, (SELECT count(*) FROM snapped s WHERE s.doc_id = b.doc_id AND s.gap_idx < b.block_idx) AS seg FROM blocks b)"""
+OPTIMIZED = ", ".join([
+    CONV, SNAPPED,
+    MERGE.format(small="SELECT doc_id, min(block_idx) AS a, sum(tokens)::BIGINT AS t FROM numbered GROUP BY doc_id, seg", least=40),
+    CUT.format(whole="SELECT doc_id, a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a) - 1, (SELECT max(block_idx) FROM blocks b WHERE b.doc_id = merged.doc_id)) AS z FROM merged", limit=400),
+])
+
+
+@query(PACK.format(prelude=OPTIMIZED, limit=400, given="SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS seg_idx, t, a AS first_block, kind = 'heading' AND heading_level <= 1 AS stop FROM done JOIN (SELECT doc_id, block_idx AS a, kind, heading_level FROM blocks) USING (doc_id, a)"))
 def optimize_all(spark, sf_dir):
-    """Q4: all steps with limits; held against plain code in the tests."""
+    """Q4: all steps with limits."""
     b = conv_blocks(spark, sf_dir)
     return _sizes(S.optimize(b, D.FixedSplit(2).detect(b), S.OptimizeConfig(40, 400, 0, 1)))
 
@@ -724,9 +746,21 @@ def boundary_prf_tol0(spark, sf_dir):
     return E.boundary_prf(*gold(spark, sf_dir), tolerance=0)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {GOLD},
+found AS (SELECT doc_id, gap_idx AS x, row_number() OVER (PARTITION BY doc_id ORDER BY gap_idx) AS i FROM hyp),
+golds AS (SELECT doc_id, list(gap_idx) AS free FROM ref GROUP BY doc_id),
+greedy AS (
+    SELECT doc_id, 0::BIGINT AS i, coalesce(free, []) AS free, 0::BIGINT AS tp FROM sizes LEFT JOIN golds USING (doc_id)
+    UNION ALL
+    SELECT doc_id, i, [g FOR g IN free IF hit IS NULL OR g <> hit], tp + (hit IS NOT NULL)::BIGINT
+    FROM (SELECT g.doc_id, f.i, g.free, g.tp, CASE WHEN list_contains(free, x) THEN x WHEN list_contains(free, x - 1) THEN x - 1 WHEN list_contains(free, x + 1) THEN x + 1 END AS hit
+          FROM greedy g JOIN found f ON f.doc_id = g.doc_id AND f.i = g.i + 1)),
+near AS (SELECT doc_id, max(greedy.tp) AS hits FROM greedy GROUP BY doc_id),
+rates AS (SELECT doc_id, CASE WHEN nr = 0 AND nh = 0 THEN 1 WHEN nh = 0 THEN 0 ELSE hits / nh END AS p, CASE WHEN nr = 0 AND nh = 0 THEN 1 WHEN nr = 0 THEN 0 ELSE hits / nr END AS q FROM tp JOIN near USING (doc_id))
+SELECT doc_id, round(p, {DIGITS}) AS precision, round(q, {DIGITS}) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, {DIGITS}) AS f1 FROM rates""")
 def boundary_prf_tol1(spark, sf_dir):
-    """Greedy matching within one gap; held against plain code in the tests."""
+    """Greedy matching within one gap."""
     return E.boundary_prf(*gold(spark, sf_dir), tolerance=1)
 
 
