@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once, also where a lambda in the body names it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -15,15 +22,14 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 for missing, empty, unequal or zero vectors and for NaN or infinite results."""
-    value = F.try_divide(dot(a, b), norm(a) * norm(b))
-    sound = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0) & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
-    return F.when(sound, value).otherwise(F.lit(0.0))
+    same = a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0)
+    sound = lambda value: F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value).otherwise(F.lit(0.0))
+    return F.when(same, let(F.try_divide(dot(a, b), norm(a) * norm(b)), sound)).otherwise(F.lit(0.0))
 
 
 def unit(a: Column) -> Column:
     """The vector at length 1, or null where it has none."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x / length))
+    return let(norm(a), lambda length: F.when(length > 0, F.transform(a, lambda x: x / length)))
 
 
 def mean_of(vectors: Column) -> Column:

@@ -41,8 +41,9 @@ def mean_vectors(assigned: DataFrame, vectors: DataFrame) -> DataFrame:
     joined = assigned.select("doc_id", "seg_idx", "block_idx").join(vectors.where(F.size("vector") > 0), ["doc_id", "block_idx"])
     parts = joined.groupBy("doc_id", "seg_idx", part_of()).agg(V.sum_of(F.collect_list("vector")).alias("s"), F.collect_list(F.size("vector")).alias("sizes"))
     sums = parts.groupBy("doc_id", "seg_idx").agg(V.sum_of(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("sizes")).alias("sizes"))
-    reached = lambda i: F.when(F.array_min("sizes") == F.array_max("sizes"), F.size("sizes")).otherwise(F.size(F.filter("sizes", lambda n: n > i)))
-    return sums.select("doc_id", "seg_idx", F.transform("s", lambda x, i: x / reached(i)).alias("vector"))
+    reached = lambda even, i: F.when(even, F.size("sizes")).otherwise(F.size(F.filter("sizes", lambda n: n > i)))
+    mean = V.let(F.array_min("sizes") == F.array_max("sizes"), lambda even: F.transform("s", lambda x, i: x / reached(even, i)))
+    return sums.select("doc_id", "seg_idx", mean.alias("vector"))
 
 
 def document_metrics(coherences: DataFrame, confidences: DataFrame) -> DataFrame:
