@@ -13,6 +13,8 @@ stretch of a longer repeated run has the same earlier copy.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import clean_text, materialise
@@ -48,17 +50,23 @@ def first_ranks(lines: DataFrame) -> DataFrame:
     return lines.join(ranked, ["h1", "h2"]).select("doc_id", "line", "chars", "rank", (F.col("first") < at).alias("later"))
 
 
-def double(active: DataFrame, step: int, label: str) -> DataFrame:
+def double(active: DataFrame, step: int, label: str, width: int) -> DataFrame:
     """Suffixes still sharing their rank after comparing twice as many lines, ``later`` told anew.
 
     A blank line (unless lines are numbered without them), a line found nowhere else, or the document's end on the way ends what a suffix can share: it has
     no rank ``step`` lines on and leaves.
+
+    Places within a rank are summed up in parts of ``width`` following ranks and then over the parts, so that no task
+    holds all that may follow a very common line.
     """
     ahead = Window.partitionBy("doc_id").orderBy("line").rangeBetween(step, step)
     pairs = active.withColumn("next", F.first("rank").over(ahead)).where("next is not null")
     groups = pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).where("n > 1")
-    before = Window.partitionBy("rank").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("rank", "next", "first", (F.col("rank") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("finer"))
+    groups = materialise(groups.withColumn("part", F.floor(F.col("next") / width)), f"{label}-groups")
+    before = lambda order, *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = groups.groupBy("rank", "part").agg(F.sum("n").alias("n")).select("rank", "part", before("part", "rank").alias("start"))
+    inside = groups.select("rank", "part", "next", "first", before("next", "rank", "part").alias("inside"))
+    groups = inside.join(starts, ["rank", "part"]).select("rank", "next", "first", (F.col("rank") + F.col("start") + F.col("inside")).alias("finer"))
     found = pairs.join(groups, ["rank", "next"]).select("doc_id", "line", "chars", F.col("finer").alias("rank"), (F.col("first") < F.struct("doc_id", "line")).alias("later"))
     return materialise(found, label)
 
@@ -67,15 +75,16 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
     """doc_id, runs (array of begin and end line, end exclusive) to delete, longest (lines known to repeat in a row)."""
     active = materialise(first_ranks(lines_of(docs, across_blank)), "ranks-1")
     depth = 1
+    width = 1 + math.isqrt(active.agg(F.max("rank")).first()[0] or 0)  # as many parts as ranks in a part
     found = active.where(F.col("later") & (F.col("chars") >= min_chars)).select("doc_id", "line", F.lit(1).alias("length"), F.lit(1).alias("depth"))
     if min_lines <= 1:
         found = active.where("later").select("doc_id", "line", F.lit(1).alias("length"), F.lit(1).alias("depth"))
     while not active.isEmpty():
-        shorter, active = active, double(active, depth, f"ranks-{2 * depth}")
+        shorter, active = active, double(active, depth, f"ranks-{2 * depth}", width)
         depth *= 2
         if depth >= min_lines > depth // 2:
             # windows of exactly min_lines: two overlapping ranks of half the depth tell them apart
-            exact = active if depth == min_lines else double(shorter, min_lines - depth // 2, "ranks-exact")
+            exact = active if depth == min_lines else double(shorter, min_lines - depth // 2, "ranks-exact", width)
             found = found.unionByName(exact.where("later").select("doc_id", "line", F.lit(min_lines).alias("length"), F.lit(min_lines).alias("depth")))
         if depth > min_lines:
             found = found.unionByName(active.where("later").select("doc_id", "line", F.lit(depth).alias("length"), F.lit(depth).alias("depth")))
