@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Bytes of text handled at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Fixed value: special tokens in this tokenizer begin so; such texts go to the tokenizer as they are.
 SPECIAL = "<|"
 #: Code points from here on, and apostrophes and spaces beyond ASCII, are left to the tokenizer library.
