@@ -129,7 +129,7 @@ def conversation_segments(spark, sf_dir):
 @query(f"WITH {CONV} SELECT doc_id, block_idx, kind, heading_level, text, start_byte, end_byte FROM blocks")
 def parse_blocks(spark, sf_dir):
     """S1-S6 over conversations."""
-    return parse(tables.conversations(spark, sf_dir)).drop("title")
+    return parse(tables.conversations(spark, sf_dir)).select("doc_id", "block_idx", "kind", "heading_level", "text", "start_byte", "end_byte")
 
 
 @query(f"WITH {DOCS} SELECT doc_id, block_idx, kind, heading_level, text, path, start_byte, end_byte FROM blocks")
