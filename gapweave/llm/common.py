@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -45,6 +47,18 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, limit: int) -> Iterator[None]:
+    """What is run inside gives Python batches of about ``limit`` bytes (one row at least), not of 10,000 rows of any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import tokens
-from .common import discard, materialise
+from .common import arrow_bytes, discard, materialise
 from .shingles import finish, word_hashes
 
 MINIMIZER = 16
@@ -175,17 +175,18 @@ def chained(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, fields = flat_list(batch.column("spans"), 4)
-            order = np.lexsort((fields[0], owner))
-            owner, (begin, windows, source, at) = owner[order], (f[order] for f in fields)
-            new = np.ones(len(owner), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (source[1:] != source[:-1]) | (begin[1:] != begin[:-1] + windows[:-1]) | (at[1:] != at[:-1] + windows[:-1])
-            first = np.flatnonzero(new)
-            sums = np.add.reduceat(windows, first) if len(first) else windows
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=batch.num_rows))])
-            arrays = [pa.array(begin[first].astype(np.int32)), pa.array(sums.astype(np.int32)), pa.array(source[first]), pa.array(at[first].astype(np.int32))]
-            spans = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(arrays, names=["begin", "windows", "source", "at"]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), spans], names=["doc_id", "text", "spans"])
+            for part in tokens.slices(batch, "text"):
+                owner, fields = flat_list(part.column("spans"), 4)
+                order = np.lexsort((fields[0], owner))
+                owner, (begin, windows, source, at) = owner[order], (f[order] for f in fields)
+                new = np.ones(len(owner), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (source[1:] != source[:-1]) | (begin[1:] != begin[:-1] + windows[:-1]) | (at[1:] != at[:-1] + windows[:-1])
+                first = np.flatnonzero(new)
+                sums = np.add.reduceat(windows, first) if len(first) else windows
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=part.num_rows))])
+                arrays = [pa.array(begin[first].astype(np.int32)), pa.array(sums.astype(np.int32)), pa.array(source[first]), pa.array(at[first].astype(np.int32))]
+                spans = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(arrays, names=["begin", "windows", "source", "at"]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), spans], names=["doc_id", "text", "spans"])
 
     return rows.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id long, text string, spans {SPANS}")
 
@@ -244,20 +245,21 @@ def cut(texts: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, kept, removed = [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans")):
-                words = text.encode().split() if text else []
-                step = np.zeros(len(words) + 1, np.int64)
-                flat = spans.values
-                begin, count = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                np.add.at(step, begin, 1)
-                np.add.at(step, begin + count - 1 + window, -1)
-                gone = np.cumsum(step)[:-1] > 0
-                removed.append(int(gone.sum()))
-                whole.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]))
-            sha = [hashlib.sha256(t).hexdigest() for t in kept]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole, pa.string()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array([t.decode() for t in kept], pa.string())], names=["doc_id", "whole_sha256", "n_removed", "kept_sha256", "kept_text"])
+            for rows in tokens.slices(batch, "text"):
+                whole, kept, removed = [], [], []
+                for text, spans in zip(rows.column("text").to_pylist(), rows.column("spans")):
+                    words = text.encode().split() if text else []
+                    step = np.zeros(len(words) + 1, np.int64)
+                    flat = spans.values
+                    begin, count = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                    np.add.at(step, begin, 1)
+                    np.add.at(step, begin + count - 1 + window, -1)
+                    gone = np.cumsum(step)[:-1] > 0
+                    removed.append(int(gone.sum()))
+                    whole.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                    kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]))
+                sha = [hashlib.sha256(t).hexdigest() for t in kept]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(whole, pa.string()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array([t.decode() for t in kept], pa.string())], names=["doc_id", "whole_sha256", "n_removed", "kept_sha256", "kept_text"])
 
     return texts.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, whole_sha256 string, n_removed long, kept_sha256 string, kept_text string")
 
@@ -272,6 +274,11 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     if window < MINIMIZER:
         raise ValueError(f"a window has {MINIMIZER} words at least")
+    with arrow_bytes(docs.sparkSession, tokens.BATCH_BYTES):
+        return deduplicated(docs, window)
+
+
+def deduplicated(docs: DataFrame, window: int) -> DataFrame:
     table = materialise(read_paths(docs, window), "paths")
     named = table.where("doc_id is not null")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

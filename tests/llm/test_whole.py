@@ -95,3 +95,21 @@ def test_pipeline_deletes_double_spaced_passages(spark):
     rows = [(1, "own one\n" + verse), (2, "own two\n\n" + verse.replace("\n\n", "\n") + "\nend two"), (3, verse), (4, "own four\n" + verse + "\n\nend four")]
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, as_table(spark, rows), "").collect()}
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("own two\n\nend two", 16), 4: ("own four\n\nend four", 18)}
+
+
+def test_substring_dedup_gets_long_texts_in_small_batches(spark):
+    rng = random.Random(4)
+    shared = [f"s{k}" for k in range(80)]
+    rows = [(i, " ".join([f"u{rng.randrange(10**9)}" for _ in range(3000)] + shared)) for i in range(400)]
+
+    def small(batches):  # 400 rows of 32 KB
+        for batch in batches:
+            if batch.num_rows > 1 and batch.nbytes > 3 << 20:
+                raise ValueError(f"a batch of {batch.nbytes} bytes")
+            yield batch
+
+    table = as_table(spark, rows).coalesce(1)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(table.mapInArrow(small, table.schema)).collect()}
+    assert got == {i: (3080, 80 if i else 0) for i, _ in rows} and spark.conf.get(key) == before
