@@ -135,7 +135,7 @@ def parse_blocks(spark, sf_dir):
 @query(f"WITH {DOCS} SELECT doc_id, block_idx, kind, heading_level, text, path, start_byte, end_byte FROM blocks")
 def parse_documents(spark, sf_dir):
     """S2-S6 and W1 over documents with non-ASCII text."""
-    return B.with_heading_path(parse(tables.documents(spark, sf_dir))).select("doc_id", "block_idx", "kind", "heading_level", "text", joined(), "start_byte", "end_byte")
+    return B.with_heading_path(parse(tables.documents(spark, sf_dir), guarded=True)).select("doc_id", "block_idx", "kind", "heading_level", "text", joined(), "start_byte", "end_byte")
 
 
 @query("""
