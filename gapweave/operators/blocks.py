@@ -77,9 +77,10 @@ def split_paragraphs(blocks: DataFrame, is_break: Column) -> DataFrame:
 
 
 def split_long_paragraphs(blocks: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
+    """A line that a pattern matches is a block of its own, and so is an empty line, in which there is nothing to match."""
     hit = F.lit(False)
     for pattern in T.valid_patterns(patterns):
-        hit = hit | F.col("line").rlike(pattern)
+        hit = hit | F.col("line").rlike(f"(?d){pattern}") | (F.col("line") == "")
     return split_paragraphs(blocks, hit)
 
 

@@ -273,13 +273,13 @@ SELECT doc_id, row_number() OVER w - 1 AS block_idx, text, start_byte, CASE WHEN
 @query(RUNS.format(hit="true"))
 def split_long_paragraphs(spark, sf_dir):
     """Each line its own block, with byte ranges."""
-    return B.split_long_paragraphs(parse(tables.document_texts(spark, sf_dir)), (".",)).select("doc_id", "block_idx", "text", "start_byte", "end_byte")
+    return B.split_long_paragraphs(parse(tables.document_texts(spark, sf_dir), guarded=True), (".",)).select("doc_id", "block_idx", "text", "start_byte", "end_byte")
 
 
 @query(RUNS.format(hit="regexp_matches(text, '^The ') AND NOT contains(text, 'with')"))
 def auto_split_paragraphs(spark, sf_dir):
     """Split at lines that read like headings."""
-    return B.auto_split_paragraphs(parse(tables.document_texts(spark, sf_dir)), PSEUDO).select("doc_id", "block_idx", "text", "start_byte", "end_byte")
+    return B.auto_split_paragraphs(parse(tables.document_texts(spark, sf_dir), guarded=True), PSEUDO).select("doc_id", "block_idx", "text", "start_byte", "end_byte")
 
 
 @query("SELECT item_id, gram, count(*) AS tf FROM (SELECT item_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS gram FROM benchmark) GROUP BY ALL")

@@ -36,3 +36,7 @@ def test_parse_documents_shows_odd_lines_as_its_sql(spark, tmp_path):
 
 def test_pseudo_heading_takes_odd_lines_as_its_sql(spark, tmp_path):
     same_as_sql(spark, tmp_path, "pseudo_heading")
+
+
+def test_split_long_paragraphs_splits_odd_lines_as_its_sql(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "split_long_paragraphs")
