@@ -40,3 +40,7 @@ def test_pseudo_heading_takes_odd_lines_as_its_sql(spark, tmp_path):
 
 def test_split_long_paragraphs_splits_odd_lines_as_its_sql(spark, tmp_path):
     same_as_sql(spark, tmp_path, "split_long_paragraphs")
+
+
+def test_auto_split_paragraphs_splits_odd_lines_as_its_sql(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "auto_split_paragraphs")
