@@ -1,9 +1,10 @@
 """The scanner: kinds, tiling and text of blocks."""
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from gapweave.operators.markdown import scan
+from gapweave.operators.markdown import block_batches, scan
 
 KINDS = [
     ("# T\n\nText.\n\n## S\n\nMore.\n\n- a\n- b\n\n## C\n\nBefore\n\n```go\nx := 1\n```\n\nEnd.\n", "heading paragraph heading paragraph list heading paragraph codeblock paragraph"),
@@ -45,3 +46,11 @@ def test_blocks_tile_any_source(text):
     found = scan(raw)
     assert b"".join(raw[b[5] : b[6]] for b in found) == (raw if found else b"")
     assert all(b[5] < b[6] for b in found)
+
+
+def test_blocks_of_a_large_batch_come_in_small_ones():
+    sources = [f"line {k}\n\n".encode() * 6_000 for k in range(100)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(100), pa.int64()), "content": sources})
+    found = list(block_batches(iter([batch])))
+    assert max(b.nbytes for b in found) < 8 << 20
+    assert b"".join(raw for b in found for raw in b.column("raw").to_pylist()) == b"".join(sources)
